@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .fingerprint import op2_fingerprints
 from .quality import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
+    "op4_bpe": op4_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
