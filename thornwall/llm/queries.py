@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .fingerprint import op2_fingerprints
+from .packing import op8_best_fit_packing
 from .quality import op1_quality_rules
+from .token_files import op3_token_files
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
+    "op3_token_files": op3_token_files,
     "op4_bpe": op4_bpe,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
