@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .fingerprint import op2_fingerprints
 from .packing import op8_best_fit_packing
 from .quality import op1_quality_rules
+from .simhash import op7_simhash
 from .token_files import op3_token_files
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_token_files": op3_token_files,
     "op4_bpe": op4_bpe,
+    "op7_simhash": op7_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
