@@ -51,8 +51,9 @@ def write_file(path: str, doc_ids: list[int | None], ends: list[int], ids: list[
         out.write(_HEAD.pack(MAGIC, len(doc_ids), len(doc_ids) - len(known), n_ids, width, len(code)))
         out.write(np.array(known, "<i8").tobytes())
         out.write(code)
-        for x in ids:
-            out.write(np.frombuffer(x, "<u4").astype("<u2").tobytes() if width == 2 else x)
+        for at in range(0, len(ids), 4096):
+            block = b"".join(ids[at : at + 4096])
+            out.write(np.frombuffer(block, "<u4").astype("<u2").tobytes() if width == 2 else block)
 
 
 class TokenFile:
@@ -96,7 +97,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer_path)
-        place, doc_ids, ends, ids, total, top = None, [], [], [], 0, 0
+        place, doc_ids, ends, ids, total = None, [], [], [], 0
         for batch in batches:
             for part in slices(batch, 1024):
                 place = part.column(0)[0].as_py() if place is None else place
@@ -105,11 +106,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
                 for x in found:
                     total += len(x) // 4
                     ends.append(total)
-                top = max(top, int(np.frombuffer(b"".join(found), "<u4").max()))
                 ids += found
         if doc_ids:
             path = f"{folder}/{place:06d}-{uuid.uuid4().hex}.ids"
-            write_file(path, doc_ids, ends, ids, top)
+            write_file(path, doc_ids, ends, ids, max(encoder.top, end_id))
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((place, path, len(doc_ids), total), schema, strict=True)], schema=schema)
 
     return materialize(rows.mapInArrow(run, MANIFEST), "token-manifest")
@@ -133,8 +133,9 @@ def read_back(manifest: DataFrame) -> DataFrame:
                 file = TokenFile(path)
                 for first in range(0, file.n_docs, 1024):
                     ks = range(first, min(first + 1024, file.n_docs))
-                    spans = [file.span(k) for k in ks]
-                    data = file.read(spans[0][0], spans[-1][1]).tobytes()
+                    ends = [file.span(first)[0], *(file.ends.select(k) for k in ks)]
+                    spans = list(zip(ends, ends[1:], strict=False))
+                    data = file.read(ends[0], ends[-1]).tobytes()
                     cut = [data[4 * (s - spans[0][0]) : 4 * (e - spans[0][0])] for s, e in spans]
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -80,6 +80,7 @@ class WordEncoder:
 
     def __init__(self, spec: dict, encode_pieces: Callable[[list[str]], Iterable[list[int]]]) -> None:
         self.encode_pieces = encode_pieces
+        self.top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.table: dict[str, bytes] = {}
