@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .fingerprint import op2_fingerprints
+from .lines import op9_line_dedup
 from .packing import op8_best_fit_packing
 from .quality import op1_quality_rules
 from .simhash import op7_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op7_simhash": op7_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
