@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .fingerprint import op2_fingerprints
+from .language import op10_language_id
 from .lines import op9_line_dedup
 from .packing import op8_best_fit_packing
 from .quality import op1_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
