@@ -10,6 +10,7 @@ from .packing import op8_best_fit_packing
 from .quality import op1_quality_rules
 from .simhash import op7_simhash
 from .token_files import op3_token_files
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -20,6 +21,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op5_warc": op5_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
