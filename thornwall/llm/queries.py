@@ -9,6 +9,7 @@ from .lines import op9_line_dedup
 from .packing import op8_best_fit_packing
 from .quality import op1_quality_rules
 from .simhash import op7_simhash
+from .token_counts import op6_token_counts
 from .token_files import op3_token_files
 from .warc import OP5_SQL, op5_warc
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
     "op5_warc": op5_warc,
+    "op6_token_counts": op6_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
