@@ -11,7 +11,8 @@ A task emits a spanning forest of its links, never all pairs. A block value with
 out again by blocks of the remaining bits, so that no task gets an unbounded group.
 
 Defined cases: null text and texts without words have fingerprint zero and link like any other; fewer words than a
-shingle count as one shingle of all of them; repeated rows and ids keep a row each; a null doc_id keeps its row and is
+shingle count as one shingle of all of them; repeated rows keep a row each, and
+rows that repeat an id are one document, so their texts link; a null doc_id keeps its row and is
 never anyone's component id unless all of a component are null; an empty table gives an empty result; other columns
 are ignored.
 """

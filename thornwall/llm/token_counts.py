@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 from struct import pack
 
@@ -28,13 +30,24 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, id_text, slices
-from .words import public_path
+from .words import beyond_plane, plane_classes, public_path
 
 TOKENIZER = "byte_bpe_50k.json"
 MAX_PIECES = 600_000
 #: The tokenizer's own pattern: a fixed value of its format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PIECES = regex.compile(PATTERN)
+_PIECES = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+_RUNS = "'(?:s|t|re|ve|m|ll|d)| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+_ASCII_PIECES = re.compile(_RUNS.format(L="a-zA-Z", N="0-9", S=r"\x09-\x0d\x20"))
+
+
+@cache
+def _plane_pieces() -> re.Pattern[str]:
+    return re.compile(_RUNS.format(**plane_classes()))
+
+
+def pieces_of(text: str) -> list[str]:
+    return (_ASCII_PIECES if text.isascii() else _PIECES if beyond_plane(text) else _plane_pieces()).findall(text)
 
 
 class SpanEncoder:
@@ -66,7 +79,7 @@ class SpanEncoder:
         collecting = gc.isenabled()
         gc.disable()
         try:
-            cut = [_PIECES.findall(t) for t in texts]
+            cut = [pieces_of(t) for t in texts]
             new = set(chain.from_iterable(cut))
             if len(self.table) + len(new) > MAX_PIECES:
                 self.table.clear()

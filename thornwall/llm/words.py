@@ -35,17 +35,29 @@ _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
 @cache
-def _plane_pieces() -> re.Pattern[str]:
-    """The same pattern for texts of code points below 65,536, where character classes are bit maps."""
+def plane_classes() -> dict[str, str]:
+    """Ranges of letters L, numbers N and white space S below code point 65,536, for a character class.
+
+    There the re module keeps classes as bit maps, which is faster than looking up properties.
+    """
     kinds = {"L": "", "N": "", "S": r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"}
     start, last = 0, ""
     for c in range(0x10001):
         kind = unicodedata.category(chr(c))[0] if c < 0x10000 else ""
         if kind != last:
-            if last in "LN" and last:
+            if last in ("L", "N"):
                 kinds[last] += f"\\u{start:04x}-\\u{c - 1:04x}"
             start, last = c, kind
-    return re.compile("[{L}]+|'(?:s|t|re|ve|m|ll|d)|[^{S}{L}{N}]+|[{N}]".format(**kinds))
+    return kinds
+
+
+@cache
+def _plane_pieces() -> re.Pattern[str]:
+    return re.compile("[{L}]+|'(?:s|t|re|ve|m|ll|d)|[^{S}{L}{N}]+|[{N}]".format(**plane_classes()))
+
+
+def beyond_plane(text: str) -> bool:
+    return _ASTRAL.search(text) is not None
 
 
 def pieces_of(text: str) -> list[str]:
@@ -55,7 +67,7 @@ def pieces_of(text: str) -> list[str]:
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     text = text.replace("Σ", "σ").lower()
-    return (_PIECES if _ASTRAL.search(text) else _plane_pieces()).findall(text)
+    return (_PIECES if beyond_plane(text) else _plane_pieces()).findall(text)
 
 
 def public_path(name: str = TOKENIZER) -> str:
