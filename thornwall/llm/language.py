@@ -4,7 +4,7 @@ A text's letters are lower-cased, everything else becomes one space, and runs of
 into SIZE counters. A vector is the counters' logarithms times inverse document frequencies, scaled to length one.
 Each language has a few centroids, found by spherical k-means over labelled vectors; a text gets the language of the
 centroid with the largest cosine, which is also its score. A text is rejected if that cosine is below the language's
-distance limit, the REJECT quantile over its own labelled vectors, or if it has no letter.
+distance limit, LENIENCE times the REJECT quantile over its own labelled vectors, or if it has no letter.
 
 Document frequencies are counted over all labelled rows. Centroids are fitted on a sample of at most about SAMPLE
 labelled rows of each language (the bound is a parameter), chosen by a hash of id and text.
@@ -30,7 +30,7 @@ from .common import column, documents, materialize, slices
 SIZE = 4096
 CENTROIDS = 4
 SAMPLE = 1500
-REJECT = 0.002
+REJECT, LENIENCE = 0.02, 0.4
 SEED = 7
 UNKNOWN = "und"
 #: Characters looked at in one step; neighbouring blocks overlap, so all of a text counts.
@@ -158,7 +158,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
         counts = sorted(drawn[lang])
         vectors = np.stack([blank.vector(np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64)) for c in counts])
         own = cluster(vectors, k, rng)
-        limit = float(np.quantile((vectors @ own.T).max(axis=1), REJECT))
+        limit = LENIENCE * float(np.quantile((vectors @ own.T).max(axis=1), REJECT))
         langs += [lang] * len(own)
         centroids.append(own)
         limits += [limit] * len(own)
