@@ -102,14 +102,17 @@ def located(text: Column, pattern: Column | str) -> Column:
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern)
 
-    def size(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x))
+    nothing = F.array().cast("array<struct<s:bigint,e:bigint,m:string>>")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("out"))
 
-    def place(m: Column, i: Column) -> Column:
-        start = size(F.slice(between, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i))
-        return F.struct(start.alias("s"), (start + F.octet_length(m)).alias("e"), m.alias("m"))
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.octet_length(x["gap"])
+        e = s + F.octet_length(x["m"])
+        one = F.struct(s.cast("bigint").alias("s"), e.cast("bigint").alias("e"), x["m"].alias("m"))
+        return F.struct(e.cast("bigint").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.transform(found, place)
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
 def fnv1a64_hex(text: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -53,6 +55,11 @@ def hit(detector: str, severity: Column | int, confidence: Column | float, start
     )
 
 
+def has_any(text: Column, letters: str) -> Column:
+    """Whether a text has one of some letters; their block is looked for first, as it is one range."""
+    return text.rlike(f"[{min(letters)}-{max(letters)}]") & text.rlike(f"[{letters}]")
+
+
 def only(condition: Column, one: Column) -> Column:
     return F.when(condition, F.array(one)).otherwise(NONE)
 
@@ -70,6 +77,7 @@ class Heuristic:
         self.plain = [r for r in rules if r.condition.strip() == "any of them" and r.patterns]
         self.others = [r for r in rules if r not in self.plain]
         self.any = "|".join(f"(?:{p.regex})" for r in self.plain for p in r.patterns)
+        self.literal = all(p.text is not None for r in self.plain for p in r.patterns)
         self.order = {id(r): i for i, r in enumerate(rules)}
         self.rules = rules
 
@@ -78,12 +86,23 @@ class Heuristic:
         message = F.concat(rule["message"], F.lit(" ("), rule["name"], F.lit(f"){suffix}"))
         return F.transform(located(text, pattern), lambda m: hit(self.id, rule["severity"], rule["confidence"], start(m), end(m), message, evidence(m["m"], 120)))
 
+    def trace(self, text: Column) -> Column:
+        """Whether any pattern occurs. Literals are searched as such, which is faster than as alternatives."""
+        if not self.literal:
+            return text.rlike(self.any)
+        low, found = F.lower(text), []
+        texts = {(p.text.lower() if p.nocase else p.text, p.nocase) for r in self.plain for p in r.patterns}
+        for t, nocase in sorted(texts):
+            if not any(o != t and o in t and same == nocase for o, same in texts):
+                found.append(F.contains(low if nocase else text, F.lit(t)))
+        return reduce(or_, found)
+
     def scan(self, chunk: Chunk, text: Column, suffix: str, precise: bool) -> Column:
         """All matches in the order of rules, strings and places."""
         if not self.others:
             table = F.array(*(_rule_row(r, p.regex) for r in self.plain for p in r.patterns))
             rows = F.transform(table, lambda r: self._found(chunk, text, r, r["regex"], suffix, precise))
-            return F.when(text.rlike(self.any), F.flatten(rows)).otherwise(NONE)
+            return F.when(self.trace(text), F.flatten(rows)).otherwise(NONE)
         parts = []
         for r in self.rules:
             matches = [self._found(chunk, text, _rule_row(r, p.regex), F.lit(p.regex), suffix, precise) for p in r.patterns]
@@ -96,7 +115,7 @@ class Heuristic:
         text = chunk.text
         clean, latin = strip_marks(text), remap_confusables(text)
         again = F.when(text.rlike(MARKS), self.scan(chunk, clean, " (denoised)", False)).otherwise(NONE)
-        mapped = text.rlike(f"[{''.join(CONFUSABLES)}]")  # a mapped letter is never a mark, so this text is no other's
+        mapped = has_any(text, "".join(CONFUSABLES))  # a mapped letter is never a mark, so this text is no other's
         return F.concat(self.scan(chunk, text, "", True), again, F.when(mapped, self.scan(chunk, latin, " (deconfused)", False)).otherwise(NONE))
 
 
@@ -194,8 +213,9 @@ SELECTORS = r"\x{FE00}-\x{FE0F}"
 MORE_SELECTORS = r"\x{E0100}-\x{E01EF}"
 INVISIBLE = f"[{ZERO_WIDTH}{BIDI}{TAGS}{SELECTORS}{MORE_SELECTORS}]"
 OVERLAYS = "[\\x{0336}\\x{0332}]"
-WORD = r"[\p{IsAlphabetic}\x{200C}\x{200D}]+"
 LOOKALIKE = f"[{CYRILLIC}{GREEK}]"
+#: Maximal words with a look-alike letter.
+MIXED_WORD = rf"[\p{{IsAlphabetic}}\x{{200C}}\x{{200D}}]*{LOOKALIKE}[\p{{IsAlphabetic}}\x{{200C}}\x{{200D}}]*"
 
 
 def invisible_kind(c: Column) -> Column:
@@ -241,14 +261,14 @@ class HiddenChars:
 
     def homoglyphs(self, chunk: Chunk) -> Column:
         latin = lambda w: F.regexp_count(w, F.lit("[A-Za-z]"))
-        words = F.filter(located(chunk.text, WORD), lambda m: m["m"].rlike(LOOKALIKE) & (latin(m["m"]) >= 2))
+        words = F.filter(located(chunk.text, MIXED_WORD), lambda m: latin(m["m"]) >= 2)
 
         def one(m: Column) -> Column:
             kind = confusable_kind(F.element_at(F.regexp_extract_all(m["m"], F.lit(LOOKALIKE), F.lit(0)), -1))
             message = F.concat(F.lit("homoglyph cluster: Latin word with "), kind, F.lit(" look-alike character"))
             return hit(self.id, HIGH, 0.85, chunk.start + m["s"], chunk.start + m["e"], message, evidence(m["m"], 60))
 
-        return F.when(chunk.text.rlike(LOOKALIKE), F.transform(words, one)).otherwise(NONE)
+        return F.when(has_any(chunk.text, CYRILLIC + GREEK), F.transform(words, one)).otherwise(NONE)
 
     def hits(self, chunk: Chunk) -> Column:
         return F.concat(self.marks(chunk), self.invisible(chunk), self.homoglyphs(chunk))

@@ -14,6 +14,9 @@ class Pattern:
 
     name: str
     regex: str
+    #: The string itself, if it is a plain one, and whether case doesn't count.
+    text: str | None = None
+    nocase: bool = False
 
 
 @dataclass(frozen=True)
@@ -62,7 +65,7 @@ PACK = {
 
 def builtin() -> list[Rule]:
     return [
-        Rule(name, parse_severity(severity), confidence, message, tuple(Pattern(f"${chr(97 + i)}", literal(s, not exact)) for i, s in enumerate(strings)))
+        Rule(name, parse_severity(severity), confidence, message, tuple(Pattern(f"${chr(97 + i)}", literal(s, not exact), s, not exact) for i, s in enumerate(strings)))
         for name, (severity, confidence, message, exact, strings) in PACK.items()
     ]
 
@@ -184,6 +187,7 @@ def _pattern(reader: _Reader, name: str) -> Pattern:
     if "wide" in modifiers:
         raise ValueError("wide strings aren't supported")
     if kind == "string":
-        return Pattern(name, literal(text, "nocase" in modifiers, "fullword" in modifiers))
+        plain = text if "fullword" not in modifiers and text.isascii() else None
+        return Pattern(name, literal(text, "nocase" in modifiers, "fullword" in modifiers), plain, "nocase" in modifiers)
     flags = ("i" if "nocase" in modifiers or "i" in flags else "") + ("s" if "s" in flags else "")
     return Pattern(name, f"(?{flags}){text}" if flags else text)
