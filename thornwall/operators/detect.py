@@ -23,7 +23,10 @@ from ..functions.text import CONFUSABLES, CYRILLIC, GREEK, MARKS, evidence, hamm
 from ..rules import Rule, builtin
 from ..schema import CRITICAL, HIGH, HIT, MEDIUM
 
-NONE = F.array().cast(f"array<{HIT}>")
+
+def none() -> Column:
+    return F.array().cast(f"array<{HIT}>")
+
 
 
 @dataclass(frozen=True)
@@ -61,7 +64,7 @@ def has_any(text: Column, letters: str) -> Column:
 
 
 def only(condition: Column, one: Column) -> Column:
-    return F.when(condition, F.array(one)).otherwise(NONE)
+    return F.when(condition, F.array(one)).otherwise(none())
 
 
 # --- rules ---------------------------------------------------------------------------------------------------------
@@ -102,21 +105,21 @@ class Heuristic:
         if not self.others:
             table = F.array(*(_rule_row(r, p.regex) for r in self.plain for p in r.patterns))
             rows = F.transform(table, lambda r: self._found(chunk, text, r, r["regex"], suffix, precise))
-            return F.when(self.trace(text), F.flatten(rows)).otherwise(NONE)
+            return F.when(self.trace(text), F.flatten(rows)).otherwise(none())
         parts = []
         for r in self.rules:
             matches = [self._found(chunk, text, _rule_row(r, p.regex), F.lit(p.regex), suffix, precise) for p in r.patterns]
-            all_ = F.flatten(F.array(*matches)) if matches else NONE
+            all_ = F.flatten(F.array(*matches)) if matches else none()
             whole = hit(self.id, r.severity, r.confidence, chunk.start, chunk.end, f"{r.message} ({r.name}){suffix}", F.lit(""))
-            parts.append(F.when(condition(r, text), F.when(F.size(all_) > 0, all_).otherwise(F.array(whole))).otherwise(NONE))
+            parts.append(F.when(condition(r, text), F.when(F.size(all_) > 0, all_).otherwise(F.array(whole))).otherwise(none()))
         return F.flatten(F.array(*parts))
 
     def hits(self, chunk: Chunk) -> Column:
         text = chunk.text
         clean, latin = strip_marks(text), remap_confusables(text)
-        again = F.when(text.rlike(MARKS), self.scan(chunk, clean, " (denoised)", False)).otherwise(NONE)
+        again = F.when(text.rlike(MARKS), self.scan(chunk, clean, " (denoised)", False)).otherwise(none())
         mapped = has_any(text, "".join(CONFUSABLES))  # a mapped letter is never a mark, so this text is no other's
-        return F.concat(self.scan(chunk, text, "", True), again, F.when(mapped, self.scan(chunk, latin, " (deconfused)", False)).otherwise(NONE))
+        return F.concat(self.scan(chunk, text, "", True), again, F.when(mapped, self.scan(chunk, latin, " (deconfused)", False)).otherwise(none()))
 
 
 def _rule_row(r: Rule, regex: str) -> Column:
@@ -247,7 +250,7 @@ class HiddenChars:
         zalgo = hit(self.id, HIGH, 0.9, chunk.start, chunk.end, message, F.concat(F.lit("max_stack="), stack, F.lit(", total_marks="), total))
         message = F.concat(F.lit("combining overlay marks (strikethrough/underline obfuscation, "), overlay, F.lit(" overlay marks)"))
         struck = hit(self.id, MEDIUM, 0.85, chunk.start, chunk.end, message, F.concat(F.lit("overlay_marks="), overlay))
-        return F.when(text.rlike(MARKS), F.concat(only(stack >= 2, zalgo), only(overlay >= 5, struck))).otherwise(NONE)
+        return F.when(text.rlike(MARKS), F.concat(only(stack >= 2, zalgo), only(overlay >= 5, struck))).otherwise(none())
 
     def invisible(self, chunk: Chunk) -> Column:
         places = F.filter(located(chunk.text, INVISIBLE), lambda m: ~((m["m"] == "﻿") & (chunk.start + m["s"] == 0)))
@@ -257,7 +260,7 @@ class HiddenChars:
             severity = F.when(kind == "zero-width", MEDIUM).otherwise(CRITICAL)
             return hit(self.id, severity, 0.95, chunk.start + m["s"], chunk.start + m["e"], F.concat(F.lit("hidden "), kind, F.lit(" "), code), code)
 
-        return F.when(chunk.text.rlike(INVISIBLE), F.transform(places, one)).otherwise(NONE)
+        return F.when(chunk.text.rlike(INVISIBLE), F.transform(places, one)).otherwise(none())
 
     def homoglyphs(self, chunk: Chunk) -> Column:
         latin = lambda w: F.regexp_count(w, F.lit("[A-Za-z]"))
@@ -268,7 +271,7 @@ class HiddenChars:
             message = F.concat(F.lit("homoglyph cluster: Latin word with "), kind, F.lit(" look-alike character"))
             return hit(self.id, HIGH, 0.85, chunk.start + m["s"], chunk.start + m["e"], message, evidence(m["m"], 60))
 
-        return F.when(has_any(chunk.text, CYRILLIC + GREEK), F.transform(words, one)).otherwise(NONE)
+        return F.when(has_any(chunk.text, CYRILLIC + GREEK), F.transform(words, one)).otherwise(none())
 
     def hits(self, chunk: Chunk) -> Column:
         return F.concat(self.marks(chunk), self.invisible(chunk), self.homoglyphs(chunk))
@@ -331,7 +334,7 @@ class Encoded:
         read = F.filter(read, lambda m: m["d"].isNotNull() & (F.octet_length(m["d"]) <= MAX_DECODED))
         named = F.filter(F.transform(read, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["d"].alias("d"), payload(m["d"]).alias("what"))), lambda m: m["what"].isNotNull())
         found = F.transform(named, lambda m: hit(self.id, CRITICAL, 0.9, chunk.start + m["s"], chunk.start + m["e"], F.concat(F.lit(f"{name}-encoded injection payload: "), m["what"]), evidence(m["d"], 120)))
-        return F.when(chunk.text.rlike(run), found).otherwise(NONE)
+        return F.when(chunk.text.rlike(run), found).otherwise(none())
 
     def hits(self, chunk: Chunk) -> Column:
         return F.concat(*(self.kind(chunk, *k) for k in self.KINDS))
@@ -352,11 +355,11 @@ class Canary:
 
     def hits(self, chunk: Chunk) -> Column:
         found = F.transform(located(chunk.text, CANARY), lambda m: hit(self.id, HIGH, 0.9, chunk.start + m["s"], chunk.start + m["e"], "Rebuff-style canary token committed to repo", evidence(m["m"], 120)))
-        out = F.when(chunk.text.rlike(CANARY), found).otherwise(NONE)
+        out = F.when(chunk.text.rlike(CANARY), found).otherwise(none())
         if self.tokens:
             own = "|".join(re.escape(t) for t in self.tokens)
             found = F.transform(located(chunk.text, own), lambda m: hit(self.id, HIGH, 0.95, chunk.start + m["s"], chunk.start + m["e"], F.concat(F.lit("user-defined canary token leaked: "), m["m"]), evidence(m["m"], 120)))
-            out = F.concat(out, F.when(chunk.text.rlike(own), found).otherwise(NONE))
+            out = F.concat(out, F.when(chunk.text.rlike(own), found).otherwise(none()))
         return out
 
 

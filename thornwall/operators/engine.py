@@ -61,7 +61,7 @@ def findings(chunks: DataFrame, chosen: Sequence[detect.Detector]) -> DataFrame:
     chunks = chunks.withColumns(early) if early else chunks
     own = [numbered(d.hits(chunk), orders.get(d.id, len(orders))) for d in chosen]
     if not own:
-        own = [numbered(detect.NONE, 0)]
+        own = [numbered(detect.none(), 0)]
     rows = chunks.select("path", "chunk_seq", "provenance", F.explode(F.concat(*own)).alias("x"))
     return rows.select("path", "chunk_seq", "provenance", "x.det_ord", "x.f_seq", "x.h.*").transform(with_labels)
 
