@@ -69,7 +69,7 @@ def evidence(text: Column, most: int) -> Column:
 
 
 def severity_label(severity: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), severity + 1)
+    return F.when(severity.isNotNull(), F.element_at(F.array(*map(F.lit, SEVERITIES)), severity + 1))
 
 
 def severity_weight(severity: Column) -> Column:

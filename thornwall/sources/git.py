@@ -100,6 +100,7 @@ class TreeSource(DataSource):
 def tree(spark: SparkSession, root: str, rev: str, slices: int = 8) -> DataFrame:
     """Files of a revision (path, content, length, oid). Raises RuntimeError if there is no such revision."""
     listing(root, rev)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TreeSource)
     return spark.read.format(FORMAT).option("rev", rev).option("slices", str(slices)).load(root).select("path", "content", "length", "oid")
 
