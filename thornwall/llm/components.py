@@ -23,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")).where("node <> low").distinct()
     pairs = materialize(pairs, "links")
+    before = content(pairs)
     while True:
         # large star: every larger neighbour of a node goes to the smallest of its neighbours and itself
         both = pairs.select("node", F.col("low").alias("next")).unionByName(pairs.select(F.col("low").alias("node"), F.col("node").alias("next")))
@@ -32,15 +33,12 @@ def components(links: DataFrame) -> DataFrame:
         lower = large.groupBy("node").agg(F.min("low").alias("least"))
         small = large.join(lower, "node").select(F.when(F.col("low") == F.col("least"), F.col("node")).otherwise(F.col("low")).alias("node"), F.col("least").alias("low"))
         small = materialize(small.distinct(), "links")
-        if not changed(pairs, small):
+        if (after := content(small)) == before:
             return small.select("node", F.col("low").alias("component")).unionByName(small.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
-        pairs = small
+        pairs, before = small, after
 
 
-def changed(old: DataFrame, new: DataFrame) -> bool:
-    """Whether two tables of distinct pairs differ, by counts and sums of hashes."""
-
-    def sums(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(node, low) as decimal(20))")), F.sum(F.expr("cast(xxhash64(low, node, 1) as decimal(20))"))).first())
-
-    return sums(old) != sums(new)
+def content(pairs: DataFrame) -> tuple:
+    """A digest of a table of distinct pairs: its size and sums of two hashes."""
+    hashes = [F.sum(F.expr(f"cast(xxhash64(node, low, {i}L) as decimal(20))")) for i in range(2)]
+    return tuple(pairs.agg(F.count("*"), *hashes).first())
