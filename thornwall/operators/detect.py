@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decode, stats
 from ..functions.text import CONFUSABLES, CYRILLIC, GREEK, MARKS, evidence, hamming, is_natural_language, located, normalise, remap_confusables, strip_marks
-from ..rules import Rule, builtin
+from ..rules import Pattern, Rule, builtin
 from ..schema import CRITICAL, HIGH, HIT, MEDIUM
 
 
@@ -103,12 +103,14 @@ class Heuristic:
     def scan(self, chunk: Chunk, text: Column, suffix: str, precise: bool) -> Column:
         """All matches in the order of rules, strings and places."""
         if not self.others:
-            table = F.array(*(_rule_row(r, p.regex) for r in self.plain for p in r.patterns))
+            table = F.array(*(_rule_row(r, p) for r in self.plain for p in r.patterns))
+            if self.literal:  # of the strings, only those that occur are looked for by regular expression
+                table = F.filter(table, lambda r: F.contains(F.when(r["nocase"], F.lower(text)).otherwise(text), r["needle"]))
             rows = F.transform(table, lambda r: self._found(chunk, text, r, r["regex"], suffix, precise))
             return F.when(self.trace(text), F.flatten(rows)).otherwise(none())
         parts = []
         for r in self.rules:
-            matches = [self._found(chunk, text, _rule_row(r, p.regex), F.lit(p.regex), suffix, precise) for p in r.patterns]
+            matches = [self._found(chunk, text, _rule_row(r, p), F.lit(p.regex), suffix, precise) for p in r.patterns]
             all_ = F.flatten(F.array(*matches)) if matches else none()
             whole = hit(self.id, r.severity, r.confidence, chunk.start, chunk.end, f"{r.message} ({r.name}){suffix}", F.lit(""))
             parts.append(F.when(condition(r, text), F.when(F.size(all_) > 0, all_).otherwise(F.array(whole))).otherwise(none()))
@@ -122,8 +124,10 @@ class Heuristic:
         return F.concat(self.scan(chunk, text, "", True), again, F.when(mapped, self.scan(chunk, latin, " (deconfused)", False)).otherwise(none()))
 
 
-def _rule_row(r: Rule, regex: str) -> Column:
-    return F.struct(F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.message).alias("message"), F.lit(regex).alias("regex"))
+def _rule_row(r: Rule, p: Pattern) -> Column:
+    text = (p.text or "").lower() if p.nocase else p.text or ""
+    row = {"name": r.name, "severity": r.severity, "confidence": r.confidence, "message": r.message, "regex": p.regex, "needle": text, "nocase": p.nocase}
+    return F.struct(*(F.lit(v).alias(k) for k, v in row.items()))
 
 
 def condition(rule: Rule, text: Column) -> Column:
