@@ -29,7 +29,7 @@ THRESHOLD = 0.5
 
 #: Warning rules: name, measure, junk if it is below a or above b, clean if it is in [c, d]; else neither.
 WARNINGS = (
-    ("length", "n_words", 15, 1_000_000, 30, 100_000),
+    ("length", "n_words", MIN_WORDS, 1_000_000, 30, 100_000),
     ("word_length", "mean_word", 2.0, 14.0, 3.0, 10.0),
     ("symbols", "symbol_rate", -1.0, 0.15, 0.0, 0.02),
     ("repeated_lines", "dup_line_rate", -1.0, 0.3, 0.0, 0.05),
