@@ -1,4 +1,4 @@
-"""Line dedup of rows without an id and of rows that repeat one."""
+"""Line dedup of rows without an id, of rows that repeat one, and of long lines."""
 
 from thornwall.llm import lines
 
@@ -20,3 +20,14 @@ def test_last_place_stays_in_bounds(spark):
     docs = spark.createDataFrame([(i, line("a")) for i in (-(1 << 63), (1 << 63) - 1, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_dropped"] for r in lines.dedupe(docs).collect()}
     assert got == {-(1 << 63): 0, (1 << 63) - 1: 1, None: 1}
+
+
+def test_long_lines_are_compared_in_characters(spark):
+    words = [f"w{i:07d}" for i in range(30)]
+    typos = [w[:-1] + "x" if i % 3 == 0 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(typos))], "doc_id long, text string")
+    found = lines.hashed_lines(docs, 5).select("doc_id", "id", lines.place().alias("first")).collect()
+    at = {r["doc_id"]: r["id"] for r in found}
+    distinct = spark.createDataFrame([(r["id"], r["first"]) for r in found], "id long, first decimal(38, 0)")
+    pair = spark.createDataFrame([(at[0], at[1])], "a long, b long")
+    assert lines.verified(pair, distinct, docs, 0.8).count() == 1
