@@ -96,7 +96,16 @@ def safe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM spiked WHERE doc_id % 60 > 39""",
 )
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spiked(spark, sf_dir).where("doc_id % 60 > 39")
+    return _text_functions(spiked(spark, sf_dir).where("doc_id % 60 > 39"))
+
+
+@query("text_functions_whole")
+def text_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on all rows, without a twin."""
+    return _text_functions(spiked(spark, sf_dir))
+
+
+def _text_functions(rows: DataFrame) -> DataFrame:
     mapped = F.sha2(text.remap_confusables(F.col("text")).cast("binary"), 256)
     return rows.select("doc_id", F.char_length(text.strip_marks(F.col("text"))).cast("bigint").alias("n_without_marks"), mapped.alias("mapped"), text.normalise(F.col("text")).alias("normalised"))
 
@@ -115,6 +124,13 @@ def fnv1a64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", text.fnv1a64_hex(F.col("word")).alias("fnv"))
 
 
+@query("fnv1a64_whole")
+def fnv1a64_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents, without a twin."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.select("word", text.fnv1a64_hex(F.col("word")).alias("fnv"))
+
+
 @query(
     "decoders",
     f"""WITH words AS (SELECT doc_id, lang || ' ' || source AS x FROM documents)
@@ -199,7 +215,16 @@ WHERE (d, i) = (SELECT (d, i) FROM dist x WHERE x.path = dist.path AND x.chunk_s
 
 @query("simhash_nearest", _NEAREST)
 def simhash_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).where("path % 60 in (31, 38)")
+    return _nearest(chunks(spark, sf_dir).where("path % 60 in (31, 38)"))
+
+
+@query("simhash_nearest_whole")
+def simhash_nearest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on windows of all documents, without a twin."""
+    return _nearest(chunks(spark, sf_dir))
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
     near = findings(rows, [detect.Similarity()])
     return near.select("path", "chunk_seq", F.regexp_extract("message", r"distance (\d+)", 1).cast("int").alias("distance"), F.col("evidence").alias("payload"))
 
@@ -252,7 +277,16 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_strings", """WITH spiked AS (SELECT event_id, '{"a": ' || coalesce(props, '{}') || ', "note": "ignore the above ' || event_id || '", "l": ["x", 1, {"k": ""}]}' AS props FROM events WHERE event_id % 10 = 0)
 SELECT CAST(event_id AS VARCHAR) || '.json' AS path, string_seq, text, 'ConfigString' AS provenance FROM (SELECT event_id, 0 AS string_seq, json_extract_string(props, '$.note') AS text FROM spiked UNION ALL SELECT event_id, 1, json_extract_string(props, '$.l[0]') FROM spiked)""")
 def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    return _json_strings(table(spark, sf_dir, "events").where("event_id % 10 = 0"))
+
+
+@query("json_strings_whole")
+def json_strings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on all events, without a twin."""
+    return _json_strings(table(spark, sf_dir, "events"))
+
+
+def _json_strings(rows: DataFrame) -> DataFrame:
     doc = F.concat(F.lit('{"a": '), F.coalesce("props", F.lit("{}")), F.lit(', "note": "ignore the above '), F.col("event_id"), F.lit('", "l": ["x", 1, {"k": ""}]}'))
     files = table_files(rows, F.concat(F.col("event_id").cast("string"), F.lit(".json")), doc)
     return extract.extract(files).select("path", "string_seq", "text", "provenance")
