@@ -1,5 +1,7 @@
 """Engine queries on all rows against plain Python."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from thornwall.functions import stats
@@ -42,3 +44,29 @@ def test_strings_of_all_events(spark):
     n = spark.read.parquet(f"{SMALL}/events.parquet").count()
     got = QUERIES["json_strings_whole"](spark, SMALL)
     assert got.select("path").distinct().count() == n
+
+
+def escaped(t):
+    plain = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    return "".join(plain.get(c) or (f"\\u{{{ord(c):04x}}}" if ord(c) < 32 or 0x7F <= ord(c) < 0xA0 else c) for c in t)
+
+
+def test_evidence_of_whole_texts(spark):
+    texts = {r["doc_id"]: r["text"] for r in spiked(spark, SMALL).select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["evidence"] for r in QUERIES["evidence_escape_whole"](spark, SMALL).collect()}
+    assert got == {i: escaped(t[:120]) + ("…" if len(t) > 120 else "") for i, t in texts.items()}
+
+
+def test_safe_view_keeps_hidden_characters(spark):
+    hidden = re.compile("[\u200b-\u200d\ufeff\u202a-\u202e\u2066-\u2069\U000e0000-\U000e007f]")
+    texts = {r["doc_id"]: r["text"] for r in spiked(spark, SMALL).select("doc_id", "text").collect()}
+
+    def view(t):
+        out = hidden.sub(lambda m: f"<U+{ord(m[0]):04X}>", escaped(t[:120])) + ("…" if len(t) > 120 else "")
+        for old, new in (("<|", "<\\ |"), ("|>", "|\\ >"), ("```", "`\\ `\\ `"), ("{{", "{\\ {"), ("}}", "}\\ }")):
+            out = out.replace(old, new)
+        return f"[UNTRUSTED:{out}]"
+
+    got = {r["doc_id"]: r["evidence"] for r in QUERIES["safe_view_whole"](spark, SMALL).collect()}
+    assert got == {i: view(t) for i, t in texts.items()}
+    assert any(hidden.search(t[:120]) for t in texts.values())

@@ -79,6 +79,12 @@ def evidence_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiked(spark, sf_dir).select("doc_id", text.evidence(F.right("text", F.lit(130)), 120).alias("evidence"))
 
 
+@query("evidence_escape_whole")
+def evidence_escape_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on the whole text of every row, of which it shows the first 120 characters; without a twin."""
+    return spiked(spark, sf_dir).select("doc_id", text.evidence(F.col("text"), 120).alias("evidence"))
+
+
 @query(
     "safe_view",
     f"WITH {SPIKED_SQL} SELECT doc_id, '[UNTRUSTED:' || {sql.broken(sql.evidence('right(text, 40)', 120))} || ']' AS evidence FROM spiked WHERE NOT regexp_matches(right(text, 40), '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}\\x{{E0000}}-\\x{{E007F}}]')",
@@ -88,6 +94,12 @@ def safe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiked(spark, sf_dir).where(~end.rlike(safe.HIDDEN)).select("doc_id", safe.safe_evidence(end).alias("evidence"))
 
 
+@query("safe_view_whole")
+def safe_view_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on the whole text of every row, those with hidden characters too; without a twin."""
+    return spiked(spark, sf_dir).select("doc_id", safe.safe_evidence(F.col("text")).alias("evidence"))
+
+
 @query(
     "text_functions",
     f"""WITH {SPIKED_SQL}
