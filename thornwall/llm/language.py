@@ -118,8 +118,8 @@ def cluster(vectors: np.ndarray, k: int, rng: np.random.Generator, rounds: int =
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """Learn from lang and text. One pass over all rows counts documents, in partial sums of SIZE numbers a task."""
-    rows = labelled.select(column(labelled, "lang", "string").alias("lang"), column(labelled, "text", "string").alias("text")).where("lang is not null and text is not null")
-    rows = rows.withColumn("draw", F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_003)))
+    rows = labelled.select(column(labelled, "lang", "string").alias("lang"), column(labelled, "text", "string").alias("text"), column(labelled, "doc_id", "long").alias("doc_id")).where("lang is not null and text is not null")
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1_000_003))).drop("doc_id")
     size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = {lang: min(1.0, sample / n) for lang, n in size.items()}
 
