@@ -341,12 +341,6 @@ def test_components(spark):
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 
-def slow_simhash(line_words):
-    own = [w for w in line_words if len(w) > 3] or line_words
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in own]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -357,7 +351,7 @@ def distance(a, b):
 
 
 def slow_dedupe(rows):
-    """Texts after dedup, by pairwise comparison of all distinct lines."""
+    """Texts after dedup, by edit similarity of all pairs of distinct lines and nothing else."""
     norm = lambda line: tuple(re.findall(r"[^\W_]+", line.lower()))
     places = [(i, k, norm(line)) for i, t in rows for k, line in enumerate((t or "").split("\n")) if len(norm(line)) >= 5]
     kinds = sorted({n for _, _, n in places})
@@ -368,13 +362,9 @@ def slow_dedupe(rows):
             x = parent[x]
         return x
 
-    fps = [slow_simhash(list(k)) for k in kinds]
     for i, a in enumerate(kinds):
         for j in range(i):
-            b = kinds[j]
-            if bin(fps[i] ^ fps[j]).count("1") > 3:
-                continue
-            x, y = (" ".join(a), " ".join(b)) if max(len(" ".join(a)), len(" ".join(b))) <= lines.LONG else (a, b)
+            x, y = " ".join(a), " ".join(kinds[j])
             if 1 - distance(x, y) / max(len(x), len(y)) >= 0.8 - 1e-12:
                 parent[root(i)] = root(j)
     first = {}
@@ -415,15 +405,13 @@ def test_line_dedup_of_odd_tables(spark, docs, empty):
     assert lines.dedupe(empty).count() == 0
 
 
-def test_very_long_lines(spark, monkeypatch):
-    """Lines of several chunks get the SimHash that one chunk would give."""
-    rows = [(1, " ".join(f"word{i % 97}" for i in range(300))), (2, "a few more words than five here")]
+def test_very_long_lines(spark):
+    """Lines of 2 MB that differ in few words are one group; another of that length isn't."""
+    base = [f"w{i * 7919 % 300007}x" for i in range(250_000)]
+    other = [*base[:1000], "inserted", "words", *base[1000:120_000], "replaced", *base[120_001:]]
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(reversed(base)) + " and more")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {r["id"]: r["fp"] for r in lines.hashed_lines(docs, 5).collect()}
-    monkeypatch.setattr(lines, "CHUNK", 64)
-    assert {r["id"]: r["fp"] for r in lines.hashed_lines(docs, 5).collect()} == want
-    fp = slow_simhash(rows[0][1].split())
-    assert fp - (1 << 64) * (fp >> 63) in want.values()
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedupe(docs).collect()} == {1: 0, 2: 1, 3: 0}
 
 
 # --- language --------------------------------------------------------------------------------------------------------

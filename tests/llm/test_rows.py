@@ -22,12 +22,10 @@ def test_last_place_stays_in_bounds(spark):
     assert got == {-(1 << 63): 0, (1 << 63) - 1: 1, None: 1}
 
 
-def test_long_lines_are_compared_in_characters(spark):
-    words = [f"w{i:07d}" for i in range(30)]
-    typos = [w[:-1] + "x" if i % 3 == 0 else w for i, w in enumerate(words)]
-    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(typos))], "doc_id long, text string")
-    found = lines.hashed_lines(docs, 5).select("doc_id", "id", lines.place().alias("first")).collect()
-    at = {r["doc_id"]: r["id"] for r in found}
-    distinct = spark.createDataFrame([(r["id"], r["first"]) for r in found], "id long, first decimal(38, 0)")
-    pair = spark.createDataFrame([(at[0], at[1])], "a long, b long")
-    assert lines.verified(pair, distinct, docs, 0.8).count() == 1
+def test_private_names_may_clash(spark):
+    names = ["row", "__row", "__id", "__gone", "__old", "h", "key", "line_no", "n_lines", "n_dropped"]
+    docs = spark.createDataFrame([(i, f"{line('a')}\n{line(k)}", *names) for i, k in enumerate("bc")], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    got = sorted(lines.dedupe(docs).collect(), key=lambda r: r["doc_id"])
+    assert [r["text"] for r in got] == [f"{line('a')}\n{line('b')}", line("c")]
+    assert [r["n_dropped"] for r in got] == [0, 1]
+    assert all([r[n] for n in names[:8]] == names[:8] for r in got)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,11 @@ from pyspark.sql import types as T
 #: bytes.split() cuts at exactly these, so UTF-8 bytes are split rather than str.
 WORD_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
+#: Row groups of intermediate tables, which a task holds in memory while it writes.
+BLOCK_BYTES = 16 << 20
+#: Folder of each materialised table that is in use.
+_PLACES: dict[int, str] = {}
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
@@ -36,14 +43,26 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate files on whatever file system it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = path
+    weakref.finalize(out, _PLACES.pop, id(out), None)
+    return out
+
+
+def remove_table(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        if path := _PLACES.pop(id(table), None):
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in (f"__{name}{i or ''}" for i in itertools.count()) if c.lower() not in taken)
 
 
 def column(df: DataFrame, name: str, kind: str):
