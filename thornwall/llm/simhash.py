@@ -12,8 +12,8 @@ out again by blocks of the remaining bits, so that no task gets an unbounded gro
 
 Defined cases: null text and texts without words have fingerprint zero and link like any other; fewer words than a
 shingle count as one shingle of all of them; repeated rows keep a row each, and
-rows that repeat an id are one document, so their texts link; a null doc_id keeps its row and is
-never anyone's component id unless all of a component are null; an empty table gives an empty result; other columns
+rows that repeat an id are one document, so their texts link; a row without an id keeps its row, links only by its
+fingerprint, and has the smallest id of its component, null if there is none; a very long text is counted in blocks; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -225,11 +225,19 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Dat
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint in hex and component_id (smallest doc_id reachable) of every document."""
+    """doc_id, fingerprint in hex and component_id (smallest doc_id reachable) of every document.
+
+    A fingerprint is a node of its own number, itself; fingerprints of one doc_id are links as well.
+    """
     found = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.coalesce("low", F.lit((1 << 63) - 1))), "nodes")
-    same = components(links(nodes.select("fp", "node"), distance))
-    classes = nodes.join(same, "node", "left").select("fp", F.when(F.coalesce("component", "node") < (1 << 63) - 1, F.coalesce("component", "node")).alias("component_id"))
+    nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")), "nodes")
+    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
+    of_one = found.join(several, "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
+    same = materialize(components(links(nodes.select("fp", "node"), distance).unionByName(of_one)), "components")
+    linked = nodes.join(same, "node")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = nodes.join(linked.join(lowest, "component").select("fp", "component_id", F.lit(True).alias("linked")), "fp", "left")
+    classes = classes.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
     return found.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
