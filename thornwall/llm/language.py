@@ -7,11 +7,12 @@ centroid with the largest cosine, which is also its score. A text is rejected if
 distance limit, LENIENCE times the REJECT quantile over its own labelled vectors, or if it has no letter.
 
 Document frequencies are counted over all labelled rows. Centroids are fitted on a sample of at most about SAMPLE
-labelled rows of each language (the bound is a parameter), chosen by a hash of id and text.
+labelled rows of each language (the bound is a parameter; never more than twice as many), chosen by a hash of id and
+text; rows equal in both count once there.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and rejected; labels that are null are not
 learned; if nothing is labelled every text is `und`; repeated rows keep a row each; an empty table gives an empty
-result; other columns are ignored.
+result; a very long text is counted in blocks; of equal cosines the first centroid counts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, documents, materialize, slices
+from .common import column, documents, materialize, slices, small_batches
 
 SIZE = 4096
 CENTROIDS = 4
@@ -64,7 +65,7 @@ def grams(text: str | None) -> np.ndarray | None:
             v[i] = points[i] if chr(points[i]).isalpha() else 0
         if not v.any():
             continue
-        any_letter = True
+        any_letter = any_letter or bool(((v != 0) & ((v < 0x300) | (v >= 0x370))).any())  # a mark alone is no letter
         keep = np.ones(len(v), np.bool_)
         keep[1:] = (v[1:] != 0) | (v[:-1] != 0)  # runs of other characters are one space
         v = np.concatenate([[np.uint64(0)], v[keep], [np.uint64(0)]])
@@ -119,26 +120,30 @@ def cluster(vectors: np.ndarray, k: int, rng: np.random.Generator, rounds: int =
 def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """Learn from lang and text. One pass over all rows counts documents, in partial sums of SIZE numbers a task."""
     rows = labelled.select(column(labelled, "lang", "string").alias("lang"), column(labelled, "text", "string").alias("text"), column(labelled, "doc_id", "long").alias("doc_id")).where("lang is not null and text is not null")
-    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1_000_003))).drop("doc_id")
-    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED)), 1)).drop("doc_id")
+    small_batches(labelled.sparkSession)
+    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     share = {lang: min(1.0, sample / n) for lang, n in size.items()}
 
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("count", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(SIZE, np.int64), 0
-        schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("count", pa.binary())])
+        df, n, seen = np.zeros(SIZE, np.int64), 0, set()  # rows that repeat a drawn one add nothing to the sample
         for batch in batches:
-            langs, kept = [], []
+            langs, draws, kept = [], [], []
             for part in slices(batch):
                 for lang, text, draw in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if (c := grams(text)) is None:
                         continue
                     df += c > 0
                     n += 1
-                    if draw < share[lang] * 1_000_003:
+                    if draw < share[lang] * (1 << 63) and (lang, draw) not in seen:
+                        seen.add((lang, draw))
                         langs.append(lang)
+                        draws.append(draw)
                         kept.append(zlib.compress(c.astype("<u4").tobytes(), 1))
             if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([0] * len(kept), pa.int64()), pa.array(kept, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(draws, pa.int64()), pa.array(kept, pa.binary())], schema=schema)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([n], pa.int64()), pa.array([df.astype("<i8").tobytes()], pa.binary())], schema=schema)
 
@@ -147,9 +152,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     for r in found.where("lang is null").toLocalIterator():  # one row a task
         df += np.frombuffer(r["count"], "<i8")
         n += r["n"]
+    first = Window.partitionBy("lang").orderBy("n", "count")
+    found = found.where("lang is not null").dropDuplicates(["lang", "n"]).withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * sample)
     idf = np.log((1 + n) / (1 + df)) + 0.1
     drawn: dict[str, list[bytes]] = {}
-    for r in found.where("lang is not null").select("lang", "count").collect():  # about `sample` rows a language
+    for r in found.select("lang", "count").collect():  # about `sample` rows a language, twice that at most
         drawn.setdefault(r["lang"], []).append(r["count"])
     blank = Model((), np.zeros((0, SIZE)), np.zeros(0), idf)
     langs: list[str] = []
@@ -180,6 +187,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 found = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
