@@ -23,14 +23,15 @@ class EliasFano:
     def encode(cls, values: np.ndarray, top: int) -> EliasFano:
         values, n = np.asarray(values, np.int64), len(values)
         width = max(0, int(top // max(n, 1)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(width)) & 1
+        step = 1 << 16  # a multiple of 8, so that the packed blocks join at whole bytes
+        low = [np.packbits(((values[at : at + step, None] >> np.arange(width)) & 1).astype(np.uint8).ravel(), bitorder="little") for at in range(0, n, step)]
         places = (values >> width) + np.arange(n)
         unary = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         unary[places] = 1
         high = np.packbits(unary, bitorder="little")
         before = np.concatenate([[0], np.cumsum(_POPCOUNT[high])]).astype(np.int64)
         at = places[::SAMPLE] >> 3
-        return cls(n, width, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), high, np.stack([at, before[at]], axis=1).astype("<i8"))
+        return cls(n, width, np.concatenate([np.zeros(0, np.uint8), *low]), high, np.stack([at, before[at]], axis=1).astype("<i8"))
 
     def _low(self, i: int) -> int:
         if not self.width:

@@ -8,7 +8,8 @@ Files go to the shared folder under a name of their own for each attempt; only t
 the manifest, so lost executors and repeated tasks leave no doubles.
 
 Defined cases: null text counts as empty and holds the end id alone; repeated rows keep a document each; a null
-doc_id sorts last and comes back null; an empty table gives no files and an empty result; other columns are ignored.
+doc_id sorts last and comes back null; an empty table gives no files and an empty result; a text of more than FILE_IDS ids is
+a file of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, id_text, materialize, shared_dir, slices
 from .elias_fano import EliasFano
-from .ordered import bounds, partitions, range_of
 from .words import library_encoder, public_path
 
 MAGIC = b"TWIDS\x01\0\0"
 _HEAD = struct.Struct("<8sqqqqq")  # magic, documents, nulls at the end, ids, bytes an id, bytes of boundaries
 END_ID = 2
-MANIFEST = "place int, path string, n_docs long, n_ids long"
+MANIFEST = "place int, number int, path string, n_docs long, n_ids long"
+#: Ids of a file, of four bytes each in memory.
+FILE_IDS = 1 << 24
 
 
 def place_of(path: str) -> tuple[fs.FileSystem, str]:
@@ -85,32 +88,39 @@ class TokenFile:
         self.file.close()
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:
-    """Write all documents in id order; returns the manifest, a row per file."""
-    n = partitions(docs)
-    rows = id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("tie", F.xxhash64("text"))
-    cuts = bounds(rows.select("key", "tie"), n, docs.count())
-    rows = rows.withColumn("place", range_of(F.col("key"), F.col("tie"), cuts))
-    rows = rows.repartitionById(n, "place").sortWithinPartitions("place", F.col("doc_id").asc_nulls_last(), "tie").select("place", "doc_id", "text")
-    schema = pa.schema([("place", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, most: int = FILE_IDS) -> DataFrame:
+    """Write all documents in id order; returns the manifest, a row per file.
+
+    Documents are dealt into ranges of ids. A range's files end after `most` ids, so a task holds no more, whatever the
+    size of the range; only a document of more ids makes a larger file, of its own.
+    """
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    rows = id_text(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    schema = pa.schema([("place", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer_path)
-        place, doc_ids, ends, ids, total = None, [], [], [], 0
+        encoder, place, attempt = library_encoder(tokenizer_path), TaskContext.get().partitionId(), uuid.uuid4().hex
+        doc_ids, ends, ids, number = [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            path = f"{folder}/{place:06d}-{number:06d}-{attempt}.ids"
+            write_file(path, doc_ids, ends, ids, max(encoder.top, end_id))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((place, number, path, len(doc_ids), ends[-1]), schema, strict=True)], schema=schema)
+
         for batch in batches:
             for part in slices(batch, 1024):
-                place = part.column(0)[0].as_py() if place is None else place
-                found = [x + end for x in encoder.encode([t or "" for t in part.column(2).to_pylist()])]
-                doc_ids += part.column(1).to_pylist()
-                for x in found:
-                    total += len(x) // 4
-                    ends.append(total)
-                ids += found
+                for i, x in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    size, total = len(x) // 4 + 1, ends[-1] if ends else 0
+                    if ends and total + size > most:
+                        yield close()
+                        doc_ids, ends, ids, number, total = [], [], [], number + 1, 0
+                    doc_ids.append(i)
+                    ends.append(total + size)
+                    ids += (x, end)
         if doc_ids:
-            path = f"{folder}/{place:06d}-{uuid.uuid4().hex}.ids"
-            write_file(path, doc_ids, ends, ids, max(encoder.top, end_id))
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((place, path, len(doc_ids), total), schema, strict=True)], schema=schema)
+            yield close()
 
     return materialize(rows.mapInArrow(run, MANIFEST), "token-manifest")
 
@@ -120,16 +130,14 @@ _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 def read_back(manifest: DataFrame) -> DataFrame:
     """Global start, length and checksum of each document, from the files of a manifest (a row per file)."""
-    files, before, at = [], 0, 0
-    for r in sorted(manifest.collect(), key=lambda r: r["place"]):
-        files.append((at, r["path"], before))
-        at, before = at + 1, before + r["n_ids"]
-    spark = manifest.sparkSession
-    listed = spark.createDataFrame(files, "task int, path string, before long").repartitionById(max(1, len(files)), "task")
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("place", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("place", "number", "path", before.alias("before"))  # a row for each file
+    n = max(1, min(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count()))
+    listed = files.repartition(n, "path").select("path", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = TokenFile(path)
                 for first in range(0, file.n_docs, 1024):
                     ks = range(first, min(first + 1024, file.n_docs))
