@@ -179,6 +179,11 @@ def test_token_files(spark, docs, empty, library):
         assert start == at
         assert i is None or i >= last
         at, last = at + n, last if i is None else i
+    cut = token_files.write(docs, words.public_path(), shared_dir(spark, "t"), most=50)
+    assert Counter(tuple(r) for r in token_files.read_back(cut).collect()) == Counter(got)
+    sizes = [r["n_ids"] for r in cut.collect()]
+    assert len(sizes) > 8
+    assert all(r["n_ids"] <= 50 or r["n_docs"] == 1 for r in cut.collect())
     file = token_files.TokenFile(manifest.first()["path"])
     assert file.ids(0).tolist()[-1] == 2
     assert token_files.read_back(token_files.write(empty, words.public_path(), shared_dir(spark, "t"))).count() == 0

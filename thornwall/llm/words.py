@@ -20,8 +20,9 @@ import numpy as np
 import regex
 
 TOKENIZER = "word_bpe_49k.json"
-#: Most pieces in the table; a full one starts again, so memory doesn't grow with the input.
-MAX_PIECES = 1_000_000
+#: Most pieces in the table, and most characters of one that stays there (about 90 MB in all). A full table starts again.
+MAX_PIECES = 400_000
+MAX_PIECE = 256
 
 #: What the tokenizer file must say for piece-wise encoding to equal encoding at once: fixed values of its format.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -125,6 +126,9 @@ class WordEncoder:
             for special, part in zip(parts[1::2], own[1:], strict=True):
                 data += self.special[special].to_bytes(4, "little") + b"".join(map(get, part))
             out.append(data)
+        for piece in listed:
+            if len(piece) > MAX_PIECE:
+                del self.table[piece]
         return out
 
 
