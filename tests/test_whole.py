@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_text_functions_see_all_rows(spark):
     want = {r["doc_id"] for r in spiked(spark, SMALL).select("doc_id").collect()}
-    got = QUERIES["text_functions_whole"](spark, SMALL).collect()
+    got = QUERIES["text_functions"](spark, SMALL).collect()
     assert {r["doc_id"] for r in got} == want
     assert len(got) == len(want)
 
@@ -22,7 +22,7 @@ def test_text_functions_see_all_rows(spark):
 def test_fnv_of_all_words(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
     words = {w for t in texts if t is not None for w in t.split(" ")}
-    got = {r["word"]: r["fnv"] for r in QUERIES["fnv1a64_whole"](spark, SMALL).collect()}
+    got = {r["word"]: r["fnv"] for r in QUERIES["fnv1a64"](spark, SMALL).collect()}
     assert got == {w: f"{stats.fnv1a64(w.encode()):016x}" for w in words}
 
 
@@ -35,14 +35,14 @@ def test_nearest_of_all_windows(spark):
         d, i = min((bin(stats.simhash(r["t"]) ^ k).count("1"), i) for i, k in enumerate(known))
         if d <= detect.MAX_DISTANCE:
             want.add((r["path"], r["chunk_seq"], d))
-    got = [(r["path"], r["chunk_seq"], r["distance"]) for r in QUERIES["simhash_nearest_whole"](spark, SMALL).collect()]
+    got = [(r["path"], r["chunk_seq"], r["distance"]) for r in QUERIES["simhash_nearest"](spark, SMALL).collect()]
     assert set(got) == want
     assert len(got) == len(want)
 
 
 def test_strings_of_all_events(spark):
     n = spark.read.parquet(f"{SMALL}/events.parquet").count()
-    got = QUERIES["json_strings_whole"](spark, SMALL)
+    got = QUERIES["json_strings"](spark, SMALL)
     assert got.select("path").distinct().count() == n
 
 
@@ -53,7 +53,7 @@ def escaped(t):
 
 def test_evidence_of_whole_texts(spark):
     texts = {r["doc_id"]: r["text"] for r in spiked(spark, SMALL).select("doc_id", "text").collect()}
-    got = {r["doc_id"]: r["evidence"] for r in QUERIES["evidence_escape_whole"](spark, SMALL).collect()}
+    got = {r["doc_id"]: r["evidence"] for r in QUERIES["evidence_escape"](spark, SMALL).collect()}
     assert got == {i: escaped(t[:120]) + ("…" if len(t) > 120 else "") for i, t in texts.items()}
 
 
@@ -67,6 +67,6 @@ def test_safe_view_keeps_hidden_characters(spark):
             out = out.replace(old, new)
         return f"[UNTRUSTED:{out}]"
 
-    got = {r["doc_id"]: r["evidence"] for r in QUERIES["safe_view_whole"](spark, SMALL).collect()}
+    got = {r["doc_id"]: r["evidence"] for r in QUERIES["safe_view"](spark, SMALL).collect()}
     assert got == {i: view(t) for i, t in texts.items()}
     assert any(hidden.search(t[:120]) for t in texts.values())

@@ -74,29 +74,15 @@ def nfkc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiked(spark, sf_dir).select("doc_id", F.sha2(text.nfkc(F.col("text")).cast("binary"), 256).alias("sha"))
 
 
-@query("evidence_escape", f"WITH {SPIKED_SQL} SELECT doc_id, {sql.evidence('right(text, 130)', 120)} AS evidence FROM spiked")
+@query("evidence_escape", f"WITH {SPIKED_SQL} SELECT doc_id, {sql.evidence('text', 120)} AS evidence FROM spiked")
 def evidence_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spiked(spark, sf_dir).select("doc_id", text.evidence(F.right("text", F.lit(130)), 120).alias("evidence"))
-
-
-@query("evidence_escape_whole")
-def evidence_escape_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator on the whole text of every row, of which it shows the first 120 characters; without a twin."""
+    """The operator on the whole text of every row, of which it shows the first 120 characters."""
     return spiked(spark, sf_dir).select("doc_id", text.evidence(F.col("text"), 120).alias("evidence"))
 
 
-@query(
-    "safe_view",
-    f"WITH {SPIKED_SQL} SELECT doc_id, '[UNTRUSTED:' || {sql.broken(sql.evidence('right(text, 40)', 120))} || ']' AS evidence FROM spiked WHERE NOT regexp_matches(right(text, 40), '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}\\x{{E0000}}-\\x{{E007F}}]')",
-)
+@query("safe_view")
 def safe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    end = F.right("text", F.lit(40))
-    return spiked(spark, sf_dir).where(~end.rlike(safe.HIDDEN)).select("doc_id", safe.safe_evidence(end).alias("evidence"))
-
-
-@query("safe_view_whole")
-def safe_view_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator on the whole text of every row, those with hidden characters too; without a twin."""
+    """The operator on the whole text of every row, those with hidden characters too; tested against plain Python."""
     return spiked(spark, sf_dir).select("doc_id", safe.safe_evidence(F.col("text")).alias("evidence"))
 
 
@@ -105,25 +91,16 @@ def safe_view_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SPIKED_SQL}
     SELECT doc_id, length(regexp_replace(text, '{sql.MARK}', '', 'g')) AS n_without_marks, sha256({sql._translate('text')}) AS mapped,
            regexp_replace(lower(regexp_replace(text, '[^\\pL\\p{{Nd}}]+', ' ', 'g')), '^ ', '') AS normalised
-    FROM spiked WHERE doc_id % 60 > 39""",
+    FROM spiked""",
 )
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_functions(spiked(spark, sf_dir).where("doc_id % 60 > 39"))
-
-
-@query("text_functions_whole")
-def text_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on all rows, without a twin."""
-    return _text_functions(spiked(spark, sf_dir))
-
-
-def _text_functions(rows: DataFrame) -> DataFrame:
+    rows = spiked(spark, sf_dir)
     mapped = F.sha2(text.remap_confusables(F.col("text")).cast("binary"), 256)
     return rows.select("doc_id", F.char_length(text.strip_marks(F.col("text"))).cast("bigint").alias("n_without_marks"), mapped.alias("mapped"), text.normalise(F.col("text")).alias("normalised"))
 
 
 _FNV = """
-WITH words AS (SELECT DISTINCT unnest(string_split(text, ' ')[1:5]) AS word FROM documents WHERE doc_id < 200),
+WITH words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents),
 hashed AS (SELECT word, list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(strlen(word)), lambda i: CAST(('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::INT AS UHUGEINT))),
   lambda h, b: ((h + b - 2 * CAST((CAST(h % 256 AS INT) & CAST(b AS INT)) AS UHUGEINT)) * 1099511628211) % 18446744073709551616) AS h FROM words)
 SELECT word, lower(lpad(to_hex(CAST(h AS UBIGINT)), 16, '0')) AS fnv FROM hashed"""
@@ -131,14 +108,7 @@ SELECT word, lower(lpad(to_hex(CAST(h AS UBIGINT)), 16, '0')) AS fnv FROM hashed
 
 @query("fnv1a64", _FNV)
 def fnv1a64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200")
-    words = docs.select(F.explode(F.slice(F.split("text", " "), 1, 5)).alias("word")).distinct()
-    return words.select("word", text.fnv1a64_hex(F.col("word")).alias("fnv"))
-
-
-@query("fnv1a64_whole")
-def fnv1a64_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of all documents, without a twin."""
+    """All words of all documents."""
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return words.select("word", text.fnv1a64_hex(F.col("word")).alias("fnv"))
 
@@ -204,35 +174,9 @@ def bigram_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(pairs, ["p", "c"], "left").select("p", "c", F.round(-F.log(n / F.sum(n).over(Window.partitionBy("p"))), 9).alias("nll"))
 
 
-_NEAREST = f"""
-WITH RECURSIVE {SPIKED_SQL}, {sql.windows('spiked')},
-payloads(i, p) AS (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(detect.PAYLOADS))}),
-texts AS (
-  SELECT 'p' AS kind, CAST(i AS VARCHAR) AS path, CAST(0 AS BIGINT) AS chunk_seq, p AS t FROM payloads
-  UNION ALL SELECT 'c', path, chunk_seq, t FROM chunks WHERE strlen(t) >= 32 AND doc_id % 60 IN (31, 38)
-),
-tokens AS (SELECT kind, path, chunk_seq, unnest(string_split(trim(lower(regexp_replace(t, '[^\\pL\\p{{Nd}}]+', ' ', 'g'))), ' ')) AS word FROM texts),
-words AS (SELECT DISTINCT word FROM tokens),
-hashed AS (SELECT word, list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(strlen(word)), lambda i: CAST(('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::INT AS UHUGEINT))),
-  lambda h, b: ((h + b - 2 * CAST((CAST(h % 256 AS INT) & CAST(b AS INT)) AS UHUGEINT)) * 1099511628211) % 18446744073709551616) AS h FROM words),
-votes AS (SELECT kind, path, chunk_seq, bit, sum(CASE WHEN (h // CAST(CAST(1 AS HUGEINT) << CAST(bit AS HUGEINT) AS UHUGEINT)) % 2 = 1 THEN 1 ELSE -1 END) > 0 AS up FROM tokens JOIN hashed USING (word), range(64) r(bit) GROUP BY ALL),
-dist AS (
-  SELECT a.path, a.chunk_seq, CAST(b.path AS INT) AS i, CAST(sum(CASE WHEN a.up <> b.up THEN 1 ELSE 0 END) AS INT) AS d
-  FROM votes a JOIN votes b ON a.bit = b.bit AND a.kind = 'c' AND b.kind = 'p' GROUP BY ALL
-)
-SELECT path, chunk_seq, min(d) AS distance, p AS payload FROM dist JOIN payloads USING (i)
-WHERE (d, i) = (SELECT (d, i) FROM dist x WHERE x.path = dist.path AND x.chunk_seq = dist.chunk_seq ORDER BY d, i LIMIT 1) AND d <= 12 GROUP BY ALL
-"""
-
-
-@query("simhash_nearest", _NEAREST)
+@query("simhash_nearest")
 def simhash_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(chunks(spark, sf_dir).where("path % 60 in (31, 38)"))
-
-
-@query("simhash_nearest_whole")
-def simhash_nearest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on windows of all documents, without a twin."""
+    """The nearest known payload of windows of all documents; SQL takes minutes for it, so the tests have plain Python."""
     return _nearest(chunks(spark, sf_dir))
 
 
@@ -286,15 +230,9 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only_changed(rows.select("path", "n_chars"), changed_paths(old, new))
 
 
-@query("json_strings", """WITH spiked AS (SELECT event_id, '{"a": ' || coalesce(props, '{}') || ', "note": "ignore the above ' || event_id || '", "l": ["x", 1, {"k": ""}]}' AS props FROM events WHERE event_id % 10 = 0)
+@query("json_strings", """WITH spiked AS (SELECT event_id, '{"a": ' || coalesce(props, '{}') || ', "note": "ignore the above ' || event_id || '", "l": ["x", 1, {"k": ""}]}' AS props FROM events)
 SELECT CAST(event_id AS VARCHAR) || '.json' AS path, string_seq, text, 'ConfigString' AS provenance FROM (SELECT event_id, 0 AS string_seq, json_extract_string(props, '$.note') AS text FROM spiked UNION ALL SELECT event_id, 1, json_extract_string(props, '$.l[0]') FROM spiked)""")
 def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _json_strings(table(spark, sf_dir, "events").where("event_id % 10 = 0"))
-
-
-@query("json_strings_whole")
-def json_strings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on all events, without a twin."""
     return _json_strings(table(spark, sf_dir, "events"))
 
 
