@@ -20,8 +20,8 @@ import numpy as np
 import regex
 
 TOKENIZER = "word_bpe_49k.json"
-#: Most pieces in the table, and most characters of one that stays there (about 90 MB in all). A full table starts again.
-MAX_PIECES = 400_000
+#: Most pieces in the table, and most characters of one that stays there (about 220 MB in all). A full table starts again.
+MAX_PIECES = 1_000_000
 MAX_PIECE = 256
 
 #: What the tokenizer file must say for piece-wise encoding to equal encoding at once: fixed values of its format.
