@@ -73,7 +73,7 @@ class Codec:
     def __init__(self, path: str) -> None:
         spec = read_spec(path)
         merge = Merger(spec)
-        self.encoder = WordEncoder(spec, lambda pieces: map(merge, pieces))
+        self.encoder = WordEncoder(spec, lambda pieces: (np.array(merge(p), "<u4").tobytes() for p in pieces))
         strings = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.strings = [strings.get(i, "") for i in range(max(strings) + 1)]
 

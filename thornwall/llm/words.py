@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import gc
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import cache
-from itertools import chain
-from struct import pack
 
 import numpy as np
 import regex
@@ -89,9 +88,9 @@ def read_spec(path: str) -> dict:
 
 
 class WordEncoder:
-    """Texts to ids. `encode_pieces` turns a list of new pieces into the ids of each."""
+    """Texts to ids. `encode_pieces` turns a list of new pieces into the ids of each, as bytes."""
 
-    def __init__(self, spec: dict, encode_pieces: Callable[[list[str]], Iterable[list[int]]]) -> None:
+    def __init__(self, spec: dict, encode_pieces: Callable[[list[str]], Iterable[bytes]]) -> None:
         self.encode_pieces = encode_pieces
         self.top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -114,44 +113,59 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._parts(t) for t in texts]
-        pieces = [[pieces_of(p) for p in parts[::2]] for parts in cut]
-        new = set(chain.from_iterable(chain.from_iterable(pieces)))
+        get = self.table.get
+        new: dict[str, int] = {}  # pieces that the table lacks, numbered
+        gaps: list[tuple[list[bytes | None], int, int]] = []  # where which of them goes
+        known = []
+        for parts in cut:
+            own = []
+            for part in parts[::2]:
+                pieces = pieces_of(part)
+                ids = list(map(get, pieces))
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    gaps.append((ids, at, new.setdefault(pieces[at], len(new))))
+                own.append(ids)
+            known.append(own)
         if len(self.table) + len(new) > MAX_PIECES:
             self.table.clear()
-        if listed := list(new.difference(self.table)):
-            self.table.update(zip(listed, (pack(f"<{len(ids)}I", *ids) for ids in self.encode_pieces(listed)), strict=True))
-        get, out = self.table.__getitem__, []
-        for parts, own in zip(cut, pieces, strict=True):
-            data = b"".join(map(get, own[0]))
-            for special, part in zip(parts[1::2], own[1:], strict=True):
-                data += self.special[special].to_bytes(4, "little") + b"".join(map(get, part))
+        if new:
+            found = list(self.encode_pieces(list(new)))
+            self.table.update((p, ids) for p, ids in zip(new, found, strict=True) if len(p) <= MAX_PIECE)
+            for where, at, number in gaps:
+                where[at] = found[number]
+        out = []
+        for parts, own in zip(cut, known, strict=True):
+            data = b"".join(own[0])
+            for special, ids in zip(parts[1::2], own[1:], strict=True):
+                data += self.special[special].to_bytes(4, "little") + b"".join(ids)
             out.append(data)
-        for piece in listed:
-            if len(piece) > MAX_PIECE:
-                del self.table[piece]
         return out
 
 
-def library_pieces(path: str, spec: dict) -> Callable[[list[str]], list[list[int]]]:
+def library_pieces(path: str, spec: dict) -> Callable[[list[str]], list[bytes]]:
     """Encoding of pieces by the tokenizers library, many in one call, cut apart at word ends."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     ends = np.zeros(tokenizer.get_vocab_size(), np.bool_)
     ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(END)]] = True
 
-    def run(pieces: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            ids = tokenizer.encode(" ".join(some), add_special_tokens=False).ids
-            cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                out += [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+    def run(pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 500):
+            some = pieces[at : at + 500]
+            ids = tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            data = np.array(ids, "<u4").tobytes()
+            cuts = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+            if len(cuts) == len(some) and cuts[-1] == len(data):
+                out += [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
             else:
-                out += [tokenizer.encode(p, add_special_tokens=False).ids for p in some]
+                out += [np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in some]
         return out
 
     return run
