@@ -62,7 +62,8 @@ def findings(chunks: DataFrame, chosen: Sequence[detect.Detector]) -> DataFrame:
     own = [numbered(d.hits(chunk), orders.get(d.id, len(orders))) for d in chosen]
     if not own:
         own = [numbered(detect.none(), 0)]
-    rows = chunks.select("path", "chunk_seq", "provenance", F.explode(F.concat(*own)).alias("x"))
+    # not explode, as Spark would filter by the size of what is exploded, and so run the detectors twice
+    rows = chunks.select("path", "chunk_seq", "provenance", F.explode_outer(F.concat(*own)).alias("x")).where("x is not null")
     return rows.select("path", "chunk_seq", "provenance", "x.det_ord", "x.f_seq", "x.h.*").transform(with_labels)
 
 

@@ -17,7 +17,7 @@ from ..operators.chunk import chunk, prose
 from ..operators.engine import detectors, findings
 from ..report import human_lines, level
 from ..schema import HIGH
-from ..sources.files import table_files
+from ..sources.files import spread, table_files
 from ..sources.paths import changed_paths, in_scope, only_changed, small_enough
 from . import sql
 from .spike import SPIKED_SQL, TOKEN, spiked, spiked_case, spiked_text
@@ -204,7 +204,7 @@ def embedding_cosine_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 {sql.windows('rows')}, {sql.heuristic()} SELECT role, severity, count(*) AS hits FROM (SELECT * FROM h_plain UNION ALL SELECT * FROM h_denoised UNION ALL SELECT * FROM h_deconfused) JOIN rows ON path = CAST(doc_id AS VARCHAR) GROUP BY ALL""")
 def role_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("conv_id") * 1000 + F.col("turn")
-    rows = table(spark, sf_dir, "conversations").select(key.alias("id"), "role", spiked_text(key, F.col("text")).alias("text"))
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).select(key.alias("id"), "role", spiked_text(key, F.col("text")).alias("text"))
     hits = findings(chunk(prose(rows, F.col("id"), F.col("text"))), [detect.Heuristic()])
     return hits.join(rows.select(F.col("id").cast("string").alias("path"), "role"), "path").groupBy("role", "severity").agg(F.count("*").alias("hits"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rules import PACK
+from ..sources.files import spread
 
 CYCLE = 60
 BEFORE, AFTER, INSTEAD = "before", "after", "instead"
@@ -74,7 +75,7 @@ def spiked_text(key: Column, text: Column) -> Column:
 
 def spiked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and spiked text of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", spiked_text(F.col("doc_id"), F.col("text")).alias("text"))
 
 

@@ -111,6 +111,21 @@ def binary_files(spark: SparkSession, pattern: str) -> DataFrame:
     return found.select("path", "content", "length")
 
 
+#: Bytes for each core below which a table's own splits are too few to keep all cores busy.
+SMALL_PER_CORE = 16 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """The rows of a small table dealt out to all cores: one row group is one task, and detectors cost more than a shuffle.
+
+    What is shuffled is bounded by SMALL_PER_CORE for each core; a larger table keeps the splits it is read in.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size < cores * SMALL_PER_CORE else table
+
+
 def table_files(table: DataFrame, path: Column, text: Column) -> DataFrame:
     """Rows of a table as files."""
+    table = spread(table)
     return table.select(path.cast("string").alias("path"), text.cast("binary").alias("content")).where("content is not null").withColumn("length", F.octet_length("content").cast("bigint"))
