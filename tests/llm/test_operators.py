@@ -405,6 +405,20 @@ def test_line_dedup(spark, monkeypatch, hot):
     assert lines.dedupe(docs).columns[:4] == docs.columns
 
 
+def test_line_dedup_of_a_hot_passage(spark):
+    """Many lines with the same voters, the longest words, of which some are alike and none with most others."""
+    rnd = random.Random(11)
+    passage = " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(13)) for _ in range(8))
+    tails = [["".join(rnd.choice("abcdefghijklmnop") for _ in range(2)) for _ in range(34)] for _ in range(12)]
+    rows = [" ".join([passage, *t]) for t in tails] + [" ".join([passage, *t[:20], "zz", "yy", *t[22:]]) for t in tails]
+    rows = list(enumerate(rows))
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedupe(docs).collect()}
+    assert got == slow_dedupe(rows)
+    assert sum(t == "" for t in got.values()) == 12
+
+
 def test_line_dedup_of_odd_tables(spark, docs, empty):
     assert lines.dedupe(docs).count() == docs.count()
     assert lines.dedupe(empty).count() == 0
