@@ -40,3 +40,25 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([(0, texts["a"]), (1, texts["b"]), (1, texts["c"]), (None, texts["d"])], key=str)
+
+
+def test_near_dedup_of_hot_simhashes(spark):
+    """Texts with the same voters, of which each is like one other and no more: all pairs of a hot SimHash count."""
+    jaccard = importlib.import_module("thornwall.llm.jaccard")
+    rnd = random.Random(8)
+    hashes = sorted((int(jaccard.shingles(f"w{i}", 1)[0]), f"w{i}") for i in range(4000))
+    shared, other = [w for _, w in hashes[:8]], [w for _, w in hashes[8:]]
+    rows = []
+    for i in range(12):
+        own = rnd.sample(other, 40)
+        rows += [(2 * i, " ".join([*shared, *own])), (2 * i + 1, " ".join([*shared, *own[:38], other[-1 - i]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, low = [set(t.split()) for _, t in rows], list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    low[i] = low[j] = min(low[i], low[j])
+    found = {r["doc_id"]: r["group"] for r in jaccard.near_duplicates(docs, words=1).collect()}
+    assert len(set(low)) == 12
+    assert all((found[i] == found[j]) == (low[i] == low[j]) for i in found for j in found)
