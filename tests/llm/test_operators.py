@@ -419,6 +419,17 @@ def test_line_dedup_of_a_hot_passage(spark):
     assert sum(t == "" for t in got.values()) == 12
 
 
+def test_line_dedup_reads_texts_once(spark, monkeypatch):
+    """Lines of hot SimHashes need their texts in several turns, but the documents are cut for them once."""
+    read, texts = [], lines.line_texts
+    monkeypatch.setattr(lines, "line_texts", lambda *args: read.append(1) or texts(*args))
+    rnd = random.Random(6)
+    passage = " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(13)) for _ in range(6))
+    rows = [(i, f"{passage} {' '.join(rnd.choice('qrstuvwxyz') * 3 for _ in range(30))}") for i in range(12)]
+    lines.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert len(read) == 1
+
+
 def test_line_dedup_of_odd_tables(spark, docs, empty):
     assert lines.dedupe(docs).count() == docs.count()
     assert lines.dedupe(empty).count() == 0
