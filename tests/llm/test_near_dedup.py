@@ -42,6 +42,19 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
     assert sorted(kept, key=str) == sorted([(0, texts["a"]), (1, texts["b"]), (1, texts["c"]), (None, texts["d"])], key=str)
 
 
+def test_near_dedup_collects_the_drivers_garbage(spark):
+    """What earlier stages left on the driver goes before and during this one."""
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.createDataFrame([(i, f"text {i} of few words", "en", "s", 0) for i in range(3)], SCHEMA)
+    before = collections()
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 3
+    assert collections() >= before + 3
+
+
 def test_near_dedup_of_hot_simhashes(spark):
     """Texts with the same voters, of which each is like one other and no more: all pairs of a hot SimHash count."""
     jaccard = importlib.import_module("thornwall.llm.jaccard")
