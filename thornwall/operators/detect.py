@@ -89,25 +89,28 @@ class Heuristic:
         message = F.concat(rule["message"], F.lit(" ("), rule["name"], F.lit(f"){suffix}"))
         return F.transform(located(text, pattern), lambda m: hit(self.id, rule["severity"], rule["confidence"], start(m), end(m), message, evidence(m["m"], 120)))
 
-    def trace(self, text: Column) -> Column:
+    def prepare(self, chunk: Chunk) -> dict[str, Column]:
+        return {"__low": F.lower(chunk.text)}
+
+    def trace(self, text: Column, low: Column) -> Column:
         """Whether any pattern occurs. Literals are searched as such, which is faster than as alternatives."""
         if not self.literal:
             return text.rlike(self.any)
-        low, found = F.lower(text), []
+        found = []
         texts = {(p.text.lower() if p.nocase else p.text, p.nocase) for r in self.plain for p in r.patterns}
         for t, nocase in sorted(texts):
             if not any(o != t and o in t and same == nocase for o, same in texts):
                 found.append(F.contains(low if nocase else text, F.lit(t)))
         return reduce(or_, found)
 
-    def scan(self, chunk: Chunk, text: Column, suffix: str, precise: bool) -> Column:
-        """All matches in the order of rules, strings and places."""
+    def scan(self, chunk: Chunk, text: Column, low: Column, suffix: str, precise: bool) -> Column:
+        """All matches in the order of rules, strings and places; `low` is the text in lower case."""
         if not self.others:
             table = F.array(*(_rule_row(r, p) for r in self.plain for p in r.patterns))
             if self.literal:  # of the strings, only those that occur are looked for by regular expression
-                table = F.filter(table, lambda r: F.contains(F.when(r["nocase"], F.lower(text)).otherwise(text), r["needle"]))
+                table = F.filter(table, lambda r: F.contains(F.when(r["nocase"], low).otherwise(text), r["needle"]))
             rows = F.transform(table, lambda r: self._found(chunk, text, r, r["regex"], suffix, precise))
-            return F.when(self.trace(text), F.flatten(rows)).otherwise(none())
+            return F.when(self.trace(text, low), F.flatten(rows)).otherwise(none())
         parts = []
         for r in self.rules:
             matches = [self._found(chunk, text, _rule_row(r, p), F.lit(p.regex), suffix, precise) for p in r.patterns]
@@ -119,9 +122,10 @@ class Heuristic:
     def hits(self, chunk: Chunk) -> Column:
         text = chunk.text
         clean, latin = strip_marks(text), remap_confusables(text)
-        again = F.when(text.rlike(MARKS), self.scan(chunk, clean, " (denoised)", False)).otherwise(none())
+        again = F.when(text.rlike(MARKS), self.scan(chunk, clean, F.lower(clean), " (denoised)", False)).otherwise(none())
         mapped = has_any(text, "".join(CONFUSABLES))  # a mapped letter is never a mark, so this text is no other's
-        return F.concat(self.scan(chunk, text, "", True), again, F.when(mapped, self.scan(chunk, latin, " (deconfused)", False)).otherwise(none()))
+        deconfused = self.scan(chunk, latin, F.lower(latin), " (deconfused)", False)
+        return F.concat(self.scan(chunk, text, F.col("__low"), "", True), again, F.when(mapped, deconfused).otherwise(none()))
 
 
 def _rule_row(r: Rule, p: Pattern) -> Column:

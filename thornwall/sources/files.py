@@ -111,21 +111,23 @@ def binary_files(spark: SparkSession, pattern: str) -> DataFrame:
     return found.select("path", "content", "length")
 
 
-#: Bytes for each core below which a table's own splits are too few to keep all cores busy.
-SMALL_PER_CORE = 16 << 20
+#: Bytes of text in a task, as far as whole rows allow.
+PART_BYTES = 8 << 20
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """The rows of a small table dealt out to all cores: one row group is one task, and detectors cost more than a shuffle.
+    """The rows of a table dealt out to tasks of about PART_BYTES of text, and to all cores: detectors cost far more than a shuffle.
 
-    What is shuffled is bounded by SMALL_PER_CORE for each core; a larger table keeps the splits it is read in.
+    One row group is one task otherwise, whatever its size, and files tell little of it where texts repeat. So bytes of texts are
+    summed first, which reads the table once more; the time and memory of a task don't grow with the table.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(cores) if size < cores * SMALL_PER_CORE else table
+    sizes = [F.coalesce(F.sum(F.octet_length(f"`{c}`").cast("bigint")), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")]
+    size = table.agg(sum(sizes, F.lit(0)).alias("size")).first()["size"]
+    return table.repartition(max(cores, -(-size // PART_BYTES)))
 
 
 def table_files(table: DataFrame, path: Column, text: Column) -> DataFrame:
     """Rows of a table as files."""
-    table = spread(table)
-    return table.select(path.cast("string").alias("path"), text.cast("binary").alias("content")).where("content is not null").withColumn("length", F.octet_length("content").cast("bigint"))
+    rows = spread(table.select(path.cast("string").alias("path"), text.cast("binary").alias("content")))
+    return rows.where("content is not null").withColumn("length", F.octet_length("content").cast("bigint"))
