@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cache
 from importlib.resources import files
 
@@ -53,28 +54,63 @@ def entropy(text: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def fnv1a64(data: bytes) -> int:
-    h = FNV_START
+def fnv1a64(data: bytes, h: int = FNV_START) -> int:
+    """FNV-1a of some bytes, or of those that follow what has the hash h."""
     for b in data:
         h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
     return h
 
 
-@cache
-def _token_bits(token: str) -> np.ndarray:
-    h = np.array([fnv1a64(token.encode())], "<u8")
-    return np.unpackbits(h.view(np.uint8), bitorder="little").astype(np.int64)
+#: Values up to which the rest of a batch is hashed one by one.
+FEW = 8
+
+
+def fnv1a64_all(values: Sequence[bytes]) -> np.ndarray:
+    """fnv1a64 of each value: the first byte of all, then the second, and so on; the FEW longest end one by one."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    order = np.argsort(-sizes, kind="stable")
+    data, at = np.frombuffer(b"".join(values), np.uint8), (np.cumsum(sizes) - sizes)[order]
+    hashes, prime, done = np.full(len(values), FNV_START, np.uint64), np.uint64(FNV_PRIME), 0
+    shorter = np.sort(sizes)
+    while (left := len(values) - int(np.searchsorted(shorter, done, "right"))) > FEW:
+        hashes[:left] = (hashes[:left] ^ data[at[:left] + done]) * prime
+        done += 1
+    out = np.empty(len(values), np.uint64)
+    out[order] = hashes
+    for i in order[:left]:
+        out[i] = fnv1a64(values[i][done:], int(out[i]))
+    return out
+
+
+#: Characters of texts whose tokens exist at a time.
+SLICE = 1 << 20
+
+
+def simhashes(texts: Sequence[str]) -> np.ndarray:
+    """64-bit SimHash of the tokens of each normalised text: a bit is set if most tokens have it. Memory is bounded by SLICE or one text."""
+    out, at = np.zeros(len(texts), np.uint64), 0
+    while at < len(texts):
+        end, size = at, 0
+        ids: dict[str, int] = {}
+        rows: list[list[int]] = []
+        while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+            rows.append([ids.setdefault(token, len(ids)) for token in texts[end].split()])
+            size, end = size + len(texts[end]), end + 1
+        counts = np.array([len(r) for r in rows])
+        some = np.flatnonzero(counts)  # a text without tokens has no bit
+        if len(some):
+            hashes = fnv1a64_all([token.encode("utf-8", "surrogatepass") for token in ids])
+            bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            tokens = bits[np.concatenate([rows[i] for i in some])]
+            ones = np.add.reduceat(tokens, np.cumsum(counts[some]) - counts[some], axis=0, dtype=np.int64)
+            most = np.packbits(2 * ones > counts[some][:, None], axis=1, bitorder="little")
+            out[at + some] = most.view("<u8")[:, 0]
+        at = end
+    return out
 
 
 def simhash(normalised: str) -> int:
-    """64-bit SimHash of the tokens of a normalised text: a bit is set if most tokens have it."""
-    tokens = normalised.split()
-    if not tokens:
-        return 0
-    votes = 2 * sum(map(_token_bits, tokens)) - len(tokens)
-    if _token_bits.cache_info().currsize > 200_000:
-        _token_bits.cache_clear()
-    return int(((votes > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+    return int(simhashes([normalised])[0])
 
 
 def _statistics(s: pd.Series) -> pd.DataFrame:
@@ -88,8 +124,10 @@ def statistics(text: Column) -> Column:
 
 
 def _simhash(s: pd.Series) -> pd.Series:
-    found = [None if t is None else simhash(t) for t in s]
-    return pd.Series([None if x is None else x - (1 << 64) if x >> 63 else x for x in found], dtype="Int64")
+    there = s.notna().to_numpy()
+    out = np.zeros(len(s), np.int64)
+    out[there] = simhashes(s[there].tolist()).view(np.int64)
+    return pd.Series(pd.arrays.IntegerArray(out, ~there))
 
 
 def simhash_column(normalised: Column) -> Column:
