@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import NATURAL_LANGUAGE, SEVERITIES, WEIGHTS
+from .stats import fnv1a64_all
 
 MARKS = r"[̀-ͯ]"
 #: Letters that look like a Latin letter, and that letter.
@@ -115,17 +116,16 @@ def located(text: Column, pattern: Column | str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def fnv1a64_hex(text: Column) -> Column:
-    """FNV-1a of the UTF-8 bytes in hex, kept in two 32-bit halves as products would overflow a long."""
-    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("bigint"))
-    start = F.struct(F.lit(0xCBF29CE4).cast("bigint").alias("hi"), F.lit(0x84222325).cast("bigint").alias("lo"))
+def _fnv1a64_hex(s: pd.Series) -> pd.Series:
+    there = s.notna().to_numpy()
+    out = pd.Series([None] * len(s), dtype=object)
+    out[there] = [f"{h:016x}" for h in fnv1a64_all([t.encode("utf-8", "surrogatepass") for t in s[there]]).tolist()]
+    return out
 
-    def step(acc: Column, b: Column) -> Column:
-        low = acc["lo"].bitwiseXOR(b)
-        hi = acc["hi"] * 0x1B3 + F.shiftright(low * 0x1B3, 32) + F.shiftleft(low, 8)
-        return F.struct(hi.bitwiseAND(F.lit(0xFFFFFFFF)).alias("hi"), (low * 0x1B3).bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))
 
-    return F.aggregate(codes, start, step, lambda a: F.lower(F.concat(F.lpad(F.hex(a["hi"]), 8, "0"), F.lpad(F.hex(a["lo"]), 8, "0"))))
+def fnv1a64_hex(text: Column) -> Column:
+    """FNV-1a of the UTF-8 bytes in hex, of a batch of texts at a time; the JVM has no cheap way to go over bytes."""
+    return F.pandas_udf(_fnv1a64_hex, "string")(text)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,10 +7,12 @@ import json
 import logging
 import os
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,15 @@ def findings(chunks: DataFrame, chosen: Sequence[detect.Detector]) -> DataFrame:
     return rows.select("path", "chunk_seq", "provenance", "x.det_ord", "x.f_seq", "x.h.*").transform(with_labels)
 
 
+def kept(found: DataFrame) -> DataFrame:
+    """Findings for plans that read them several times, on executors' disks, so that the detectors run once.
+
+    They are computed again where an executor is lost. Spark looks kept tables up by plan, so each gets a mark of its own: files
+    may have changed at the same path. They go with the session, or by spark.catalog.clearCache().
+    """
+    return found.withColumn("__mark", F.lit(uuid.uuid4().hex)).persist(StorageLevel.DISK_ONLY).drop("__mark")
+
+
 def with_labels(found: DataFrame) -> DataFrame:
     category = F.create_map(*(F.lit(x) for k, v in DETECTORS.items() for x in (k, v)))
     return found.withColumn("category", F.coalesce(F.element_at(category, F.col("detector")), F.col("detector"))).withColumn("severity_label", severity_label(F.col("severity")))

@@ -14,7 +14,7 @@ from ..config import DetectorConfig, ScanConfig
 from ..functions import decode, safe, stats, text
 from ..operators import aggregate, detect, extract, quarantine
 from ..operators.chunk import chunk, prose
-from ..operators.engine import detectors, findings
+from ..operators.engine import detectors, findings, kept
 from ..report import human_lines, level
 from ..schema import HIGH
 from ..sources.files import spread, table_files
@@ -298,20 +298,20 @@ def _reviewed(rows: DataFrame) -> DataFrame:
 
 @query("quarantine_filter", f"{_UNION}{_REVIEWED} SELECT {SHOWN} FROM findings ANTI JOIN reviewed USING (detector, path, message, evidence)")
 def quarantine_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = found(spark, sf_dir)
+    rows = kept(found(spark, sf_dir))
     return shown(quarantine.suppress(rows, _reviewed(rows)))
 
 
 @query("quarantine_append", f"{_UNION}{_REVIEWED} SELECT detector, path, message FROM findings ANTI JOIN reviewed USING (detector, path, message, evidence)")
 def quarantine_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = found(spark, sf_dir)
+    rows = kept(found(spark, sf_dir))
     return quarantine.new_entries(rows, _reviewed(rows)).select("detector", "path", "message")
 
 
 @query("sarif_results", f"""{_UNION}{sql.DEDUPED} SELECT path AS uri, detector AS rule_id, CAST(dense_rank() OVER (ORDER BY detector) - 1 AS INTEGER) AS rule_index,
 CASE severity WHEN 0 THEN 'note' WHEN 1 THEN 'warning' ELSE 'error' END AS level, start_ AS byte_offset, end_ - start_ AS byte_length, message FROM deduped""")
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = aggregate.dedupe(found(spark, sf_dir))
+    rows = kept(aggregate.dedupe(found(spark, sf_dir)))
     # one row for each detector, of which there are at most seven
     names = rows.select("detector").distinct().agg(F.array_sort(F.collect_set("detector")).alias("names"))
     at = F.array_position("names", F.col("detector")) - 1
