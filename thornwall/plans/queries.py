@@ -311,9 +311,10 @@ def quarantine_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sarif_results", f"""{_UNION}{sql.DEDUPED} SELECT path AS uri, detector AS rule_id, CAST(dense_rank() OVER (ORDER BY detector) - 1 AS INTEGER) AS rule_index,
 CASE severity WHEN 0 THEN 'note' WHEN 1 THEN 'warning' ELSE 'error' END AS level, start_ AS byte_offset, end_ - start_ AS byte_length, message FROM deduped""")
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kept(aggregate.dedupe(found(spark, sf_dir)))
-    # one row for each detector, of which there are at most seven
-    names = rows.select("detector").distinct().agg(F.array_sort(F.collect_set("detector")).alias("names"))
+    every = kept(found(spark, sf_dir))
+    rows = aggregate.dedupe(every)
+    # one row for each detector, of which there are at most seven; dropping repeats leaves some of each
+    names = every.select("detector").distinct().agg(F.array_sort(F.collect_set("detector")).alias("names"))
     at = F.array_position("names", F.col("detector")) - 1
     return rows.crossJoin(F.broadcast(names)).select(F.col("path").alias("uri"), F.col("detector").alias("rule_id"), at.cast("int").alias("rule_index"), level(F.col("severity")).alias("level"), F.col("start").alias("byte_offset"), (F.col("end") - F.col("start")).alias("byte_length"), "message")
 
